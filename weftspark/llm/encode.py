@@ -25,6 +25,8 @@ DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PRE_TOKEN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 MEMO_ENTRIES = 400_000
 BUCKET_KEYS = 4
+#: A prime: displacements modulo the number of keys alone repeat, and a bucket may then fit at none of them.
+PERIOD = 2**31 - 1
 
 
 class PerfectHash:
@@ -48,7 +50,7 @@ class PerfectHash:
             left = left[np.argsort(bucket[left], kind="stable")]
             while len(left):
                 d += 1
-                at = (low[left] + d * step[left]) % n
+                at = (low[left] + d * step[left]) % PERIOD % n
                 _, first = np.unique(at, return_index=True)
                 good = np.zeros(len(at), dtype=bool)
                 good[first] = True
@@ -70,7 +72,7 @@ class PerfectHash:
         """Position in the key list of the only key that can be ``key``; the caller compares the bytes."""
         h = xxhash.xxh3_64_intdigest(key)
         d = self.shift[(h >> 40) % self.buckets]
-        return self.slots[-1 - d if d < 0 else ((h & 0xFFFFF) + d * ((h >> 20) & 0xFFFFF | 1)) % self.n]
+        return self.slots[-1 - d if d < 0 else ((h & 0xFFFFF) + d * ((h >> 20) & 0xFFFFF | 1)) % PERIOD % self.n]
 
 
 class Encoder(dict):
