@@ -1,0 +1,36 @@
+import __spark_entry__ as e
+import numpy as np
+import pandas as pd
+from weftspark.core.ranking import stationary
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_strengths_come_back_however_often_models_met():
+    s = np.array([0.5, 0.25, 0.15, 0.07, 0.03])
+    met = np.random.default_rng(1).integers(0, 1000, (5, 5))
+    met = met + met.T + 1
+    wins = met * s[:, None] / (s[:, None] + s[None, :])
+    np.fill_diagonal(wins, 0)
+    assert np.allclose(stationary(wins), s, rtol=1e-8)
+
+
+def test_every_model_has_a_place(spark):
+    b = pd.read_parquet(f"{SF}/arena_hard_battles.parquet").drop_duplicates("battle_id")
+    rows = e.queries()["p2_ranking"](spark, SF).collect()
+    assert {r.model for r in rows} == set(b.model_a) | set(b.model_b)
+    assert [r.place for r in rows] == list(range(1, len(rows) + 1))
+    assert abs(sum(r.strength for r in rows) - 1) < 1e-9 and min(r.strength for r in rows) > 0
+    v = b[b.winner.fillna("").str.strip().str.lower().str.match(r"model_|tie") & (b.model_a != b.model_b)]
+    assert sum(r.n_verdicts for r in rows) == 2 * len(v)
+
+
+def test_verdicts(spark, tmp_path):
+    one = [("x", "y", " Model_A")] * 3 + [("y", "z", "model_b ")] + [("z", "y", "TIE"), ("y", "z", "tie (bothbad)")]
+    none = [("z", "x", w) for w in ("error", "", None)] + [("z", "z", "model_a"), ("q", "x", None)]
+    rows = [(i, *r, float(i)) for i, r in enumerate(one + none)]
+    again = [(*rows[3][:4], 99.0)] * 5
+    spark.createDataFrame(rows + again, "battle_id bigint, model_a string, model_b string, winner string, tstamp double").write.parquet(f"{tmp_path}/arena_hard_battles.parquet")
+    found = {r.model: r for r in e.queries()["p2_ranking"](spark, str(tmp_path)).collect()}
+    assert {m: r.n_verdicts for m, r in found.items()} == {"x": 3, "y": 6, "z": 3, "q": 0}
+    assert found["x"].place == 1 and found["y"].place == 4

@@ -1,0 +1,59 @@
+"""One ranking from pairwise verdicts: the stationary distribution of a comparison Markov chain, by power iteration.
+
+The chain goes from a model to another with the weight of the other's wins over it; a tie is half a win for each.
+If p(i beats j) = s_i / (s_i + s_j), detailed balance gives s as the stationary distribution however often each pair
+met. Every model also ties once with an imagined one, so that models without a loss, a win or a verdict have a strength.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+TOLERANCE, MOST_STEPS = 1e-13, 2_000_000
+
+
+def stationary(wins: np.ndarray) -> np.ndarray:
+    """Stationary distribution for wins[i, j] of i over j; raises if the iteration doesn't converge."""
+    n = len(wins)
+    lost = wins.T  # from the loser to the winner
+    step = lost / (1.001 * lost.sum(axis=1).max())
+    step[np.arange(n), np.arange(n)] = 1 - (step.sum(axis=1) - np.diag(step))
+    p = np.full(n, 1 / n)
+    power, steps = step, 1
+    while steps <= MOST_STEPS:
+        after = p @ power
+        after /= after.sum()
+        if np.abs(after @ step - after).max() <= TOLERANCE * after.max() and np.abs(after / p - 1).max() < 1e-10:
+            return after
+        p = after
+        power, steps = power @ power, steps * 2  # so many steps of the chain at once
+        power /= power.sum(axis=1, keepdims=True)
+    raise ArithmeticError("power iteration did not converge")
+
+
+def ranking(battles: DataFrame) -> DataFrame:
+    """(place, model, strength, n_verdicts): every model of a battle, the best first; strengths sum to 1.
+
+    A battle_id counts once; rows without a verdict, and a model against itself, say nothing of a strength.
+    """
+    verdict = F.lower(F.trim("winner"))
+    once = battles.select("battle_id", "model_a", "model_b", verdict.alias("v"), "tstamp").groupBy("battle_id").agg(F.min(F.struct("tstamp", "model_a", "model_b", "v")).alias("b")).select("b.*")
+    won = F.when(F.col("v") == "model_a", 1.0).when(F.col("v") == "model_b", 0.0).when(F.col("v").rlike(r"^tie\b"), 0.5)
+    pairs = once.groupBy("model_a", "model_b").agg(F.sum(won).alias("won"), F.count(won).alias("n")).collect()
+    models = sorted({m for r in pairs for m in (r.model_a, r.model_b) if m is not None})
+    at = {m: i for i, m in enumerate(models)}
+    wins, seen = np.zeros((len(models) + 1,) * 2), np.zeros(len(models), dtype=np.int64)
+    wins[:-1, -1] = wins[-1, :-1] = 0.5
+    for r in pairs:
+        if r.n and r.model_a != r.model_b and None not in (r.model_a, r.model_b):
+            a, b = at[r.model_a], at[r.model_b]
+            wins[a, b] += r.won
+            wins[b, a] += r.n - r.won
+            seen[[a, b]] += r.n
+    p = stationary(wins)[:-1]
+    p = p / p.sum()
+    order = sorted(range(len(models)), key=lambda i: (-p[i], models[i]))
+    rows = [(k + 1, models[i], float(p[i]), int(seen[i])) for k, i in enumerate(order)]
+    return battles.sparkSession.createDataFrame(rows, "place int, model string, strength double, n_verdicts bigint")
