@@ -1,0 +1,103 @@
+"""Packing of token sequences into sequences of at most a capacity.
+
+The histogram of lengths is packed on the driver, longest first into the fullest pattern that has room, many equal
+bins at once; rows then take the places of their length in the order of row_id. Only lengths reach the driver.
+"""
+
+from __future__ import annotations
+
+from bisect import bisect_left, bisect_right, insort
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+Pattern = tuple[tuple[int, int], ...]
+
+
+def pack(lengths: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
+    """Patterns of (length, copies) and how many sequences have each."""
+    room: dict[int, dict[Pattern, int]] = {0: {}}
+    keys: list[int] = []
+
+    def add(left: int, pattern: Pattern, bins: int) -> None:
+        if left not in room:
+            room[left] = {}
+            insort(keys, left)
+        room[left][pattern] = room[left].get(pattern, 0) + bins
+
+    for size in sorted(lengths, reverse=True):
+        count = lengths[size]
+        while count:
+            at = bisect_left(keys, size)
+            if at < len(keys):
+                left = keys[at]
+                pattern, bins = room[left].popitem()
+            else:
+                left, pattern, bins = capacity, (), count
+            copies = min(left // size, count)
+            used = min(bins, count // copies)
+            if pattern and bins > used:
+                room[left][pattern] = bins - used
+            if left in room and left and not room[left]:
+                del room[left]
+                keys.remove(left)
+            add(left - copies * size, (*pattern, (size, copies)), used)
+            count -= copies * used
+    return [(p, n) for left in sorted(room) for p, n in sorted(room[left].items())]
+
+
+def places(patterns: list[tuple[Pattern, int]]) -> dict[int, tuple[list[int], list[tuple[int, int, int]]]]:
+    """By length: the first rank of each run, and (number of its first sequence, copies in each, offset)."""
+    out: dict[int, tuple[list[int], list[tuple[int, int, int]]]] = {}
+    ranks: dict[int, int] = {}
+    first = 0
+    for pattern, bins in patterns:
+        offset = 0
+        for size, copies in pattern:
+            starts, runs = out.setdefault(size, ([], []))
+            starts.append(ranks.get(size, 0))
+            runs.append((first, copies, offset))
+            ranks[size] = ranks.get(size, 0) + copies * bins
+            offset += size * copies
+        first += bins
+    return out
+
+
+def packed(tokens: DataFrame, config: DataFrame) -> DataFrame:
+    """(config_name, seq_no, seq_offset, row_id, row_offset, input_ids): the pieces of which each sequence consists.
+
+    A row_id counts once, the earliest; null and empty sequences have no piece; only those longer than the capacity
+    are cut, at multiples of it.
+    """
+    caps = {r[0]: r[1] for r in config.select("config_name", "max_seq_length").collect()}
+    first = Window.partitionBy("row_id").orderBy("tokenized_at")
+    once = lambda *columns: tokens.select("row_id", "tokenized_at", *columns).withColumn("k", F.row_number().over(first)).where("k = 1").drop("k", "tokenized_at")
+    sizes = once(F.coalesce(F.size("input_ids"), F.lit(0)).alias("n")).where("n > 0")
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("config_name"), F.lit(c).alias("capacity")) for k, c in sorted(caps.items()))))
+    pieces = sizes.select("row_id", "n", each.alias("c")).select("row_id", "n", "c.*").withColumn("row_offset", F.explode(F.expr("sequence(0, n - 1, capacity)")))
+    pieces = pieces.select("config_name", "row_id", "row_offset", F.expr("least(capacity, n - row_offset)").alias("size"))
+    lengths: dict[str, dict[int, int]] = {k: {} for k in caps}
+    for r in sizes.groupBy("n").agg(F.count("*").alias("rows")).collect():
+        for name, c in caps.items():
+            own = lengths[name]
+            if r.n >= c:
+                own[c] = own.get(c, 0) + r.n // c * r.rows
+            if r.n % c:
+                own[r.n % c] = own.get(r.n % c, 0) + r.rows
+    table = {name: places(pack(lengths[name], c)) for name, c in caps.items()}
+
+    def run(batches):
+        for batch in batches:
+            numbers, offsets = [], []
+            for name, size, rank in zip(*(batch.column(c).to_pylist() for c in ("config_name", "size", "rank"))):
+                starts, runs = table[name][size]
+                at = bisect_right(starts, rank) - 1
+                number, copies, offset = runs[at]
+                numbers.append(number + (rank - starts[at]) // copies)
+                offsets.append(offset + (rank - starts[at]) % copies * size)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(numbers, pa.int64()), pa.array(offsets, pa.int32())], names=["config_name", "row_id", "row_offset", "size", "seq_no", "seq_offset"])
+
+    rank = F.row_number().over(Window.partitionBy("config_name", "size").orderBy("row_id", "row_offset")) - 1
+    placed = pieces.withColumn("rank", rank.cast("bigint")).mapInArrow(run, "config_name string, row_id bigint, row_offset int, size int, seq_no bigint, seq_offset int")
+    return placed.join(once("input_ids"), "row_id").select("config_name", "seq_no", "seq_offset", "row_id", "row_offset", F.expr("slice(input_ids, row_offset + 1, size)").alias("input_ids"))
