@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from weftspark.llm.encode import encode_ids
 from weftspark.llm.leaks import leaked_items
 from weftspark.llm.packing import packed
+from weftspark.llm.quality import not_prose, text_kinds
 from weftspark.llm.ranking import ranking
 from weftspark.llm.splits import cross_split_pairs, cross_split_report
 
@@ -52,8 +53,18 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_ids(_table(spark, sf_dir, "documents"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, kind) of the documents that are lists, tables or junk."""
+    return not_prose(_table(spark, sf_dir, "documents"))
+
+
+def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, the statistics, kind, posterior) of every document."""
+    return text_kinds(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_ranking": p2_ranking, "p4_found": p4_found, "p4_report": p4_report, "p5_packed": p5_packed, "p6_ids": p6_ids}
+    return {"p1_found": p1_found, "p2_ranking": p2_ranking, "p4_found": p4_found, "p4_report": p4_report, "p5_packed": p5_packed, "p6_ids": p6_ids, "p8_found": p8_found, "p8_statistics": p8_statistics}
 
 
 def oracle_sql() -> dict[str, str]:
