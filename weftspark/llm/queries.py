@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftspark.llm.defects import defective_answers
 from weftspark.llm.encode import encode_ids
 from weftspark.llm.leaks import leaked_items
 from weftspark.llm.packing import packed
@@ -32,6 +33,11 @@ def p2_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking(_table(spark, sf_dir, "arena_hard_battles"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(answer_field, record_id, answer_no, defect) of every defective answer of the three tables."""
+    return defective_answers(*(_table(spark, sf_dir, t) for t in ("preference_pairs", "alpaca_eval_outputs", "gen_preference_pairs", "documents")))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(pair_id_1, pair_id_2) for every train row and validation or test row with the same or almost the same record."""
     pairs = cross_split_pairs(_table(spark, sf_dir, "preference_pairs"))
@@ -64,7 +70,7 @@ def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_ranking": p2_ranking, "p4_found": p4_found, "p4_report": p4_report, "p5_packed": p5_packed, "p6_ids": p6_ids, "p8_found": p8_found, "p8_statistics": p8_statistics}
+    return {"p1_found": p1_found, "p2_ranking": p2_ranking, "p3_found": p3_found, "p4_found": p4_found, "p4_report": p4_report, "p5_packed": p5_packed, "p6_ids": p6_ids, "p8_found": p8_found, "p8_statistics": p8_statistics}
 
 
 def oracle_sql() -> dict[str, str]:
