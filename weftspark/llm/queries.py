@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from weftspark.llm.defects import defective_answers
 from weftspark.llm.encode import encode_ids
 from weftspark.llm.leaks import leaked_items
+from weftspark.llm.mixing import mixed
 from weftspark.llm.packing import packed
 from weftspark.llm.quality import not_prose, text_kinds
 from weftspark.llm.ranking import ranking
@@ -59,6 +60,16 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_ids(_table(spark, sf_dir, "documents"))
 
 
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(mix_name, source, doc_id, n_tokens, times): the documents of every mix of mix_targets and how often each is used."""
+    return mixed(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares that the sources of every mix were to reach and did reach."""
+    return mixed(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_targets"))[1]
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, kind) of the documents that are lists, tables or junk."""
     return not_prose(_table(spark, sf_dir, "documents"))
@@ -70,7 +81,7 @@ def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_ranking": p2_ranking, "p3_found": p3_found, "p4_found": p4_found, "p4_report": p4_report, "p5_packed": p5_packed, "p6_ids": p6_ids, "p8_found": p8_found, "p8_statistics": p8_statistics}
+    return {"p1_found": p1_found, "p2_ranking": p2_ranking, "p3_found": p3_found, "p4_found": p4_found, "p4_report": p4_report, "p5_packed": p5_packed, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_report": p7_report, "p8_found": p8_found, "p8_statistics": p8_statistics}
 
 
 def oracle_sql() -> dict[str, str]:
