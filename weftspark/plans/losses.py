@@ -58,12 +58,12 @@ for _kind in losses.LOSSES:
 
 @query(
     "reward_metrics",
-    f"WITH m AS (SELECT batch, avg(0.1 * {_A}) AS chosen, avg(0.1 * {_B}) AS rejected, avg(CASE WHEN 0.1 * {_A} > 0.1 * {_B} THEN 1.0 ELSE 0.0 END) AS accuracy, avg(0.1 * {_Z}) AS margin FROM {{logps}} GROUP BY batch)"
-    " SELECT round(avg(chosen), 6) AS chosen, round(avg(rejected), 6) AS rejected, round(avg(accuracy), 6) AS accuracy, round(avg(margin), 6) AS margin FROM m",
+    f"WITH m AS (SELECT batch, avg(0.1 * {_A}) AS chosen, avg(0.1 * {_B}) AS rejected, avg(CASE WHEN 0.1 * {_A} > 0.1 * {_B} THEN CAST(1 AS DOUBLE) ELSE 0 END) AS accuracy, avg(0.1 * {_Z}) AS margin FROM {{logps}} GROUP BY batch)"
+    " SELECT round(avg(chosen), 9) AS chosen, round(avg(rejected), 9) AS rejected, round(avg(accuracy), 9) AS accuracy, round(avg(margin), 9) AS margin FROM m",
 )
 def reward_metrics(spark, folder):
     out = losses.reward_metrics(views.logps(spark, folder))
-    return out.select(*(F.round(c, 6).alias(c) for c in out.columns))
+    return out.select(*(F.round(c, 9).alias(c) for c in out.columns))
 
 
 @query("rewards", f"SELECT row_id, batch, round(0.1 * {_A}, 6) AS chosen, round(0.1 * {_B}, 6) AS rejected, CAST(0.1 * {_A} > 0.1 * {_B} AS DOUBLE) AS accuracy, round(0.1 * {_Z}, 6) AS margin FROM {{logps}}")
