@@ -165,6 +165,8 @@ def packed(tokens: DataFrame, config: DataFrame) -> DataFrame:
     are cut, at multiples of it.
     """
     caps = {r[0]: r[1] for r in config.select("config_name", "max_seq_length").collect()}
+    if not caps:
+        return tokens.sparkSession.createDataFrame([], "config_name string, seq_no bigint, seq_offset int, row_id bigint, row_offset int, input_ids array<int>")
     first = Window.partitionBy("row_id").orderBy("tokenized_at")
     once = lambda *columns: tokens.select("row_id", "tokenized_at", *columns).withColumn("k", F.row_number().over(first)).where("k = 1").drop("k", "tokenized_at")
     sizes = once(F.coalesce(F.size("input_ids"), F.lit(0)).alias("n")).where("n > 0")
