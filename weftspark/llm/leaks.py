@@ -1,28 +1,65 @@
 """Texts that hold held-out items whole or in part.
 
-By the q-gram lemma a stretch of L words with e errors keeps L + 1 - q - q * e of its q-grams, all within e
-diagonals of each other. Bands of diagonals with so many hits are candidates; a banded alignment decides them.
+Texts and items are compared as words joined by single spaces. By the q-gram lemma, a stretch of the item of which e
+words are altered, missing or added keeps all its character q-grams but those that touch one of these words; and the
+kept ones lie within e diagonals of each other, counted in words. Bands of diagonals with so many shared q-grams are
+candidates; a banded alignment of their words decides them.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftspark.llm.words import words
 
-Q = 3
+#: Characters of a q-gram; about two words, so that few texts share one by chance.
+Q = 12
 #: One word in so many of the stretch may be altered, missing or added; and this part of the item is repeated.
 WORDS_AN_ERROR, PART = 8, 2
-
-
-def least_hits(n: int) -> int:
-    """q-grams that any stretch with half of an item of n words has in common with it."""
-    stretch = -(-n // PART)
-    return max(1, min(x + 1 - Q - Q * (x // WORDS_AN_ERROR) for x in range(stretch, stretch + WORDS_AN_ERROR)))
+#: Bits of the table that tells most q-grams of a text from those of the items at once.
+SIEVE_BITS = 22
+
+
+def least_hits(item: list[str]) -> int:
+    """Character q-grams that any stretch with half of the item has in common with it: the least over all stretches and errors."""
+    sizes = [len(w) + 1 for w in item]
+    half, least = -(-len(item) // PART), None
+    for n in range(half, min(len(item), half + WORDS_AN_ERROR) + 1):
+        errors = max(1, n // (WORDS_AN_ERROR - 1)) if n >= WORDS_AN_ERROR - 1 else 0
+        for at in range(len(item) + 1 - n):
+            own = sizes[at : at + n]
+            lost = sum(sorted(own, reverse=True)[:errors]) + errors * (Q - 1)
+            kept = sum(own) - Q - lost
+            least = kept if least is None else min(least, kept)
+    return max(1, least or 1)
+
+
+def grams(text: str) -> np.ndarray:
+    """A hash for each q-gram of the text."""
+    codes = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
+    n = len(codes) + 1 - Q
+    if n <= 0:
+        return np.empty(0, dtype=np.uint64)
+    by, size, out, at = codes * np.uint64(0x9E3779B97F4A7C15), 1, np.zeros(n, dtype=np.uint64), 0
+    for bit in range(Q.bit_length()):  # hashes of 1, 2, 4, ... characters, joined to Q
+        if Q >> bit & 1:
+            out = (out ^ by[at : at + n]) * np.uint64(0xD6E8FEB86659FD93)
+            out ^= out >> np.uint64(32)
+            at += size
+        if size * 2 <= Q:
+            by = (by[: len(by) - size] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (by[size:] + np.uint64(size))
+            by ^= by >> np.uint64(29)
+            size *= 2
+    return out
+
+
+def word_places(text: str) -> np.ndarray:
+    """For each character the number of the word that it is in, or that ends before it."""
+    codes = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)
+    return np.cumsum(codes == 32)
 
 
 def aligned(item: list[str], text: list[str], low: int, high: int) -> bool:
@@ -67,39 +104,68 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str]]):
         self.items = [(k, w) for k, t in rows if (w := words(t))]
-        self.least = [least_hits(len(w)) for _, w in self.items]
-        index: dict[tuple[str, ...], list[tuple[int, int]]] = defaultdict(list)
-        self.short = [x for x, (_, w) in enumerate(self.items) if self.least[x] == 1]
+        self.least = [least_hits(w) for _, w in self.items]
+        self.short = [x for x, n in enumerate(self.least) if n == 1]
+        hashes, owners, places = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for x, (_, w) in enumerate(self.items):
-            for i in range(len(w) + 1 - Q):
-                index[tuple(w[i : i + Q])].append((x, i))
-        self.index = dict(index)
+            if self.least[x] > 1:
+                text = " ".join(w)
+                own = grams(text)
+                hashes.append(own)
+                owners.append(np.full(len(own), x))
+                places.append(word_places(text)[: len(own)])
+        every = np.concatenate(hashes)
+        order = np.argsort(every, kind="stable")
+        self.owner, self.place = np.concatenate(owners)[order], np.concatenate(places)[order]
+        self.hash, self.start, self.count = np.unique(every[order], return_index=True, return_counts=True)
+        self.sieve = np.zeros(1 << SIEVE_BITS, dtype=bool)
+        self.sieve[self._low(self.hash)] = True
+        self.fewest = min((n for n in self.least if n > 1), default=0)
+
+    @staticmethod
+    def _low(hashes: np.ndarray) -> np.ndarray:
+        return (hashes & np.uint64((1 << SIEVE_BITS) - 1)).astype(np.int64)
 
     def found(self, text: str | None) -> list[int]:
         """Items that the text holds."""
         w = words(text)
-        hits: dict[int, list[int]] = defaultdict(list)
-        get = self.index.get
-        for j, gram in enumerate(zip(w, w[1:], w[2:])):
-            for x, i in get(gram, ()):
-                hits[x].append(j - i)
         out = [self.items[x][0] for x in self.short if aligned(self.items[x][1], w, -len(self.items[x][1]), len(w))]
-        for x, diagonals in hits.items():
-            if len(diagonals) >= self.least[x] > 1 and self._holds(x, w, sorted(diagonals)):
+        if not self.fewest:
+            return out
+        joined = " ".join(w)
+        own = grams(joined)
+        at = np.flatnonzero(self.sieve[self._low(own)])
+        if len(at) < self.fewest:
+            return out
+        known = np.minimum(np.searchsorted(self.hash, own[at]), len(self.hash) - 1)
+        same = self.hash[known] == own[at]
+        at, known = at[same], known[same]
+        if len(at) < self.fewest:
+            return out
+        times = self.count[known]
+        each = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(self.start[known], times)
+        owner, diagonal = self.owner[each], np.repeat(word_places(joined)[at], times) - self.place[each]
+        order = np.lexsort((diagonal, owner))
+        owner, diagonal = owner[order], diagonal[order]
+        first = np.flatnonzero(np.diff(owner, prepend=-1))
+        for a, b in zip(first, [*first[1:], len(owner)]):
+            x = int(owner[a])
+            if b - a >= self.least[x] and self._holds(x, w, diagonal[a:b]):
                 out.append(self.items[x][0])
         return out
 
-    def _holds(self, x: int, w: list[str], diagonals: list[int]) -> bool:
+    def _holds(self, x: int, w: list[str], diagonals: np.ndarray) -> bool:
+        """Whether a band of diagonals with enough q-grams holds the item by its alignment."""
         item, least = self.items[x][1], self.least[x]
         wide = len(item) // (WORDS_AN_ERROR - 1) + 1
+        narrow = diagonals[least - 1 :] - diagonals[: len(diagonals) + 1 - least] <= wide
         bands: list[list[int]] = []
-        for a in range(len(diagonals) + 1 - least):
-            if diagonals[a + least - 1] - diagonals[a] <= wide:
-                low, high = diagonals[a] - wide, diagonals[a + least - 1] + wide
-                if bands and low <= bands[-1][1]:
-                    bands[-1][1] = high
-                else:
-                    bands.append([low, high])
+        for a in np.flatnonzero(narrow).tolist():
+            low, high = int(diagonals[a]) - wide, int(diagonals[a + least - 1]) + wide
+            if bands and low <= bands[-1][1]:
+                bands[-1][1] = max(high, bands[-1][1])
+            else:
+                bands.append([low, high])
         return any(aligned(item, w, low, high) for low, high in bands)
 
 
