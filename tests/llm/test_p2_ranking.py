@@ -34,3 +34,33 @@ def test_verdicts(spark, tmp_path):
     found = {r.model: r for r in e.queries()["p2_ranking"](spark, str(tmp_path)).collect()}
     assert {m: r.n_verdicts for m, r in found.items()} == {"x": 3, "y": 6, "z": 3, "q": 0}
     assert found["x"].place == 1 and found["y"].place == 4
+
+
+def test_counts_do_not_bias_and_frames_give_the_same(spark, monkeypatch):
+    from weftspark.llm import ranking as r
+
+    rng = np.random.default_rng(3)
+    s = np.exp(rng.normal(0, 1, 8))
+    rows, k = [], 0
+    for i in range(8):
+        for j in range(i):
+            for _ in range(int(rng.integers(20, 400))):
+                rows.append((k, f"m{i}", f"m{j}", "model_a" if rng.random() < s[i] / (s[i] + s[j]) else "model_b", float(k)))
+                k += 1
+    df = spark.createDataFrame(rows, "battle_id bigint, model_a string, model_b string, winner string, tstamp double")
+    found = {x.model: x for x in r.ranking(df).collect()}
+    order = sorted(range(8), key=lambda i: -s[i])
+    places = [found[f"m{i}"].place for i in order]
+    assert sum(abs(p - q - 1) for q, p in enumerate(places)) <= 4
+    monkeypatch.setattr(r, "DRIVER_PAIRS", 0)
+    again = {x.model: x for x in r.ranking(df).collect()}
+    assert all(again[m].place == x.place and again[m].n_verdicts == x.n_verdicts and abs(again[m].strength / x.strength - 1) < 1e-3 for m, x in found.items())
+
+
+def test_no_battles(spark):
+    from weftspark.llm.ranking import ranking
+
+    schema = "battle_id bigint, model_a string, model_b string, winner string, tstamp double"
+    assert ranking(spark.createDataFrame([], schema)).collect() == []
+    alone = ranking(spark.createDataFrame([(1, "x", None, None, 1.0)], schema)).collect()
+    assert [(x.place, x.model, x.strength, x.n_verdicts) for x in alone] == [(1, "x", 1.0, 0)]
