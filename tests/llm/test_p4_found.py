@@ -51,3 +51,20 @@ def test_cases(spark, tmp_path):
     spark.createDataFrame([(*r, "s") for r in rows], "pair_id bigint, split string, prompt_id string, prompt string, dataset_mix_source string").write.parquet(f"{tmp_path}/preference_pairs.parquet")
     assert sorted(map(tuple, e.queries()["p4_found"](spark, str(tmp_path)).collect())) == [(1, 2), (5, 6), (8, 9)]
     assert sorted(map(tuple, e.queries()["p4_report"](spark, str(tmp_path)).collect())) == [("test", "s", 3, 2, 2), ("validation", "s", 2, 1, 1)]
+
+
+def test_divided_runs_lose_nothing(spark, monkeypatch):
+    from weftspark.llm import splits
+
+    p = pd.read_parquet(f"{SF}/preference_pairs.parquet", columns=["pair_id", "split", "prompt_id", "prompt"])
+    monkeypatch.setattr(splits, "RUN_ROWS", 2)
+    monkeypatch.setattr(splits, "BLOCK", 3)
+    rows = {tuple(sorted(r)) for r in splits.cross_split_pairs(spark.read.parquet(f"{SF}/preference_pairs.parquet")).collect()}
+    assert rows == brute(p)
+
+
+def test_common_words_and_places():
+    from weftspark.llm.splits import common_words, least_places
+
+    assert common_words("l a b c", "l a b d") == 2 and common_words("l a", "s a") == 0 and common_words("s a b", "s a b") == 2
+    assert least_places(38, 6) == 38 - 4 - 25 and least_places(8, 4) == 1
