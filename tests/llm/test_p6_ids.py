@@ -41,3 +41,24 @@ def test_entry_has_rows(spark):
 def test_perfect_hash_over_the_vocabulary_ends():
     hash_ = encoder(DEFAULT_VOCABULARY).hash
     assert sorted(hash_.slots) == list(range(hash_.n))
+
+
+def test_duplicate_keys_raise_and_any_key_type_stays(spark, monkeypatch):
+    import pytest
+    from weftspark.llm import encode
+
+    with pytest.raises(ValueError):
+        encode.PerfectHash([b"a", b"b", b"a"])
+    df = spark.createDataFrame([("x", "a b", "clash"), ("x", None, ""), (None, "", "")], "name string, text string, ids string")
+    monkeypatch.setattr(encode, "FLUSH", 1)
+    rows = [tuple(r) for r in encode.encode_ids(df, key="name").collect()]
+    assert rows == [("x", naive("a b")), ("x", []), (None, [])]
+    assert encode.encode_ids(df.limit(0), key="name").collect() == []
+    assert [r.n_tokens for r in encode.token_counts(df, key="name").collect()] == [2, 0, 0]
+
+
+def test_very_long_word():
+    text = "ab" * 100_000
+    ids = list(encoder(DEFAULT_VOCABULARY).encode(text))
+    keys = dict(zip(encoder(DEFAULT_VOCABULARY).ids, encoder(DEFAULT_VOCABULARY).keys_))
+    assert b"".join(keys[i] for i in ids).decode() == text

@@ -2,7 +2,7 @@
 
 Two tiers resolve a pre-token: a minimal perfect hash over the whole vocabulary answers for pre-tokens that
 are themselves one vocabulary entry; every other pre-token is merged with a heap over linked bytes. A bounded
-memo in front of both keeps the ids of pre-tokens already seen by the worker.
+memo keeps the ids of pre-tokens that the worker has merged.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-token pattern published with the vocabulary.
 PRE_TOKEN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 MEMO_ENTRIES = 400_000
+#: Ids of one outgoing batch, about; places in a batch are 32-bit numbers.
+FLUSH = 1 << 22
 BUCKET_KEYS = 4
 #: A prime: displacements modulo the number of keys alone repeat, and a bucket may then fit at none of them.
 PERIOD = 2**31 - 1
@@ -38,6 +41,8 @@ class PerfectHash:
 
     def __init__(self, keys: list[bytes]):
         n = len(keys)
+        if len(set(keys)) < n:
+            raise ValueError("two keys are the same")
         self.n, self.buckets = n, max(1, n // BUCKET_KEYS)
         hashes = np.array([xxhash.xxh3_64_intdigest(k) for k in keys], dtype=np.uint64)
         bucket = ((hashes >> np.uint64(40)) % np.uint64(self.buckets)).astype(np.int64)
@@ -64,6 +69,7 @@ class PerfectHash:
         shift[bucket[single]] = -1 - open_[: len(single)]
         self.shift, self.slots = shift.tolist(), slots.tolist()
 
+
     @staticmethod
     def _parts(hashes):
         return (hashes & np.uint64(0xFFFFF)).astype(np.int64), ((hashes >> np.uint64(20)) & np.uint64(0xFFFFF)).astype(np.int64) | 1
@@ -75,25 +81,37 @@ class PerfectHash:
         return self.slots[-1 - d if d < 0 else ((h & 0xFFFFF) + d * ((h >> 20) & 0xFFFFF | 1)) % PERIOD % self.n]
 
 
+def read_vocabulary(vocabulary: str) -> tuple[list[bytes], list[int], PerfectHash]:
+    """Entries of a vocabulary file with their ids and the perfect hash over them."""
+    with open(vocabulary, "rb") as lines:
+        pairs = [line.split() for line in lines if line.strip()]
+    keys = [base64.b64decode(k) for k, _ in pairs]
+    return keys, [int(i) for _, i in pairs], PerfectHash(keys)
+
+
 class Encoder(dict):
-    """Maps a pre-token to its ids; as a dict it is the memo of the pre-tokens seen so far."""
+    """Maps a pre-token to its ids; as a dict it is the memo of the merged pre-tokens seen so far."""
 
-    def __init__(self, vocabulary: str = DEFAULT_VOCABULARY):
+    def __init__(self, parts: tuple[list[bytes], list[int], PerfectHash]):
         super().__init__()
-        with open(vocabulary, "rb") as lines:
-            pairs = [line.split() for line in lines if line.strip()]
-        self.keys_, self.ids = [base64.b64decode(k) for k, _ in pairs], [int(i) for _, i in pairs]
-        self.hash = PerfectHash(self.keys_)
+        self.keys_, self.ids, self.hash = parts
         self.pattern = regex.compile(PRE_TOKEN)
+        self.whole = [(i,) for i in self.ids]
+
+    def __getitem__(self, pre_token: str) -> tuple[int, ...]:
+        """Tier one, the perfect hash, for whole entries; tier two, memo or merging, for all others."""
+        piece = pre_token.encode("utf-8", "replace")
+        at = self.hash.index(piece)
+        if self.keys_[at] == piece:
+            return self.whole[at]
+        return self.get(pre_token) or self.__missing__(pre_token)
 
     def rank(self, piece: bytes) -> int | None:
         at = self.hash.index(piece)
         return self.ids[at] if self.keys_[at] == piece else None
 
     def __missing__(self, pre_token: str) -> tuple[int, ...]:
-        piece = pre_token.encode("utf-8", "replace")
-        whole = self.rank(piece)
-        ids = (whole,) if whole is not None else tuple(self.merge(piece))
+        ids = tuple(self.merge(pre_token.encode("utf-8", "replace")))
         if len(self) >= MEMO_ENTRIES:
             self.clear()
         if len(pre_token) <= 64:
@@ -135,48 +153,66 @@ class Encoder(dict):
 
 
 _ENCODERS: dict[str, Encoder] = {}
+_SHIPPED: dict[tuple[str, str], Broadcast] = {}
 
 
-def encoder(vocabulary: str) -> Encoder:
-    """The encoder of this process for a vocabulary file."""
+def encoder(vocabulary: str, parts: Broadcast | None = None) -> Encoder:
+    """The encoder of this process for a vocabulary file, from what the driver sent or else from the file."""
     if vocabulary not in _ENCODERS:
-        _ENCODERS[vocabulary] = Encoder(vocabulary)
+        _ENCODERS[vocabulary] = Encoder(read_vocabulary(vocabulary) if parts is None else parts.value)
     return _ENCODERS[vocabulary]
 
 
-def _columns(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(F.col(key).cast("bigint").alias("k"), F.col(text).cast("string").alias("t"))
+def shipped(df: DataFrame, vocabulary: str) -> Broadcast:
+    """The vocabulary and its perfect hash, read and built once on the driver; their size is the vocabulary's."""
+    context = df.sparkSession.sparkContext
+    key = (context.applicationId, vocabulary)
+    if key not in _SHIPPED:
+        _SHIPPED[key] = context.broadcast(read_vocabulary(vocabulary))
+    return _SHIPPED[key]
 
 
 def encode_ids(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """One row ``(key, ids)`` for each input row, without special tokens.
 
     Null and empty texts give the empty list; text that spells a special token is ordinary text; a null key stays
-    null; repeated rows give repeated rows; other columns are dropped. There is no shuffle.
+    null; repeated rows give repeated rows; other columns are dropped. There is no shuffle. Batches are handed on
+    whenever they have FLUSH ids.
     """
+    parts = shipped(df, vocabulary)
+    rows = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
 
     def run(batches):
-        enc = encoder(vocabulary)
+        enc = encoder(vocabulary, parts)
         for batch in batches:
-            ids, offsets = array("i"), [0]
-            for t in batch.column(1):
+            ids, offsets, first = array("i"), [0], 0
+
+            def full(to: int) -> pa.RecordBatch:
+                values = pa.array(np.frombuffer(ids, dtype=np.int32) if ids else np.empty(0, np.int32), pa.int32())
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+                return pa.RecordBatch.from_arrays([batch.column(0).slice(first, to - first), lists], names=[key, "ids"])
+
+            for i, t in enumerate(batch.column(1)):
                 if t := t.as_py():
                     ids.extend(enc.encode(t))
                 offsets.append(len(ids))
-            values = pa.array(np.frombuffer(ids, dtype=np.int32) if ids else np.empty(0, np.int32), pa.int32())
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[key, "ids"])
+                if len(ids) >= FLUSH:
+                    yield full(i + 1)
+                    ids, offsets, first = array("i"), [0], i + 1
+            if first < batch.num_rows or not batch.num_rows:
+                yield full(batch.num_rows)
 
-    return _columns(df, key, text).mapInArrow(run, f"`{key}` bigint, ids array<int>")
+    return rows.mapInArrow(run, f"`{key}` {rows.schema['k'].dataType.simpleString()}, ids array<int>")
 
 
 def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """``(key, *keep, n_tokens)``: only the number of ids leaves the worker. Null and empty texts count 0."""
-    extra = df.select(F.col(key).cast("bigint").alias(key), *keep, F.col(text).cast("string").alias("__text"))
+    parts = shipped(df, vocabulary)
+    extra = df.select(key, *keep, F.col(text).cast("string").alias("__text"))
     kept = extra.schema.fields[:-1]
 
     def run(batches):
-        enc = encoder(vocabulary)
+        enc = encoder(vocabulary, parts)
         for batch in batches:
             counts = [sum(map(len, map(enc.__getitem__, enc.pattern.findall(t)))) if (t := x.as_py()) else 0 for x in batch.column(batch.num_columns - 1)]
             arrays = [batch.column(i) for i in range(batch.num_columns - 1)] + [pa.array(counts, pa.int64())]
