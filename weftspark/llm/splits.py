@@ -25,7 +25,7 @@ WORDS_AN_ERROR = 8
 #: Words that the span has at least: M - M // 8 equal words lie in at most M // 8 + 1 runs.
 LONG, LONG_SPAN, SHORT_SPAN = 24, 6, 4
 #: Words of a suffix that it is sorted by; prefixes in common are measured up to these.
-KEY_WORDS = 12
+KEY_WORDS = 8
 #: Suffixes of a run and split that one task has at once; longer runs are divided.
 RUN_ROWS = 20_000
 #: Pairs of suffixes that are looked at together.
