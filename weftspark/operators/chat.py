@@ -142,6 +142,12 @@ def formatted(rows: DataFrame, task: str, template: str, key: str | None = None,
     return rows.withColumns({"text_prompt": render(put(prompt), template, **options)} | {f"text_{c}": render(last(c), template, **options) for c in ("chosen", "rejected")})
 
 
+def renamed(rows: DataFrame) -> DataFrame:
+    """text_prompt, text_chosen and text_rejected, where there are such columns, as prompt, chosen and rejected; these are replaced."""
+    found = [c for c in ("prompt", "chosen", "rejected") if f"text_{c}" in rows.columns]
+    return rows.drop(*found).withColumnsRenamed({f"text_{c}": c for c in found})
+
+
 def rank_text(messages: Column) -> Column:
     """Lines ``role: content``, without white space at the ends."""
     return stripped(F.array_join(F.transform(messages, lambda m: F.concat(F.coalesce(m["role"], F.lit("")), F.lit(": "), _content(m))), "\n"))

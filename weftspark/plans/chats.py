@@ -85,3 +85,8 @@ def chat_system_insert(spark, folder):
 @query("chat_rank_text", f"SELECT pair_id, regexp_replace(array_to_string(list_transform(chosen, lambda m: concat(coalesce(m.role, ''), ': ', {_C})), chr(10)), '{chat.STRIP}', '', 'g') AS text FROM {{dialogues}}")
 def chat_rank_text(spark, folder):
     return views.dialogues(spark, folder).select("pair_id", chat.rank_text(F.col("chosen")).alias("text"))
+
+
+@query("chat_dpo_columns", f"SELECT pair_id, {_text('chosen[1:len(chosen) - 1]', 'chatml')} AS prompt, {_text('chosen[len(chosen):len(chosen)]', 'chatml')} AS chosen, {_text('rejected[len(rejected):len(rejected)]', 'chatml')} AS rejected FROM {{dialogues}}")
+def chat_dpo_columns(spark, folder):
+    return chat.renamed(chat.formatted(views.dialogues(spark, folder), "dpo", "chatml")).select("pair_id", "prompt", "chosen", "rejected")
