@@ -10,7 +10,7 @@ from __future__ import annotations
 import base64
 import heapq
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -96,15 +96,21 @@ class Encoder(dict):
         super().__init__()
         self.keys_, self.ids, self.hash = parts
         self.pattern = regex.compile(PRE_TOKEN)
-        self.whole = [(i,) for i in self.ids]
+        self.lookup = self._lookup()
 
-    def __getitem__(self, pre_token: str) -> tuple[int, ...]:
-        """Tier one, the perfect hash, for whole entries; tier two, memo or merging, for all others."""
-        piece = pre_token.encode("utf-8", "replace")
-        at = self.hash.index(piece)
-        if self.keys_[at] == piece:
-            return self.whole[at]
-        return self.get(pre_token) or self.__missing__(pre_token)
+    def _lookup(self) -> Callable[[str], tuple[int, ...]]:
+        """Ids of a pre-token: tier one, the perfect hash, for whole entries; tier two, memo or merging, for all others."""
+        keys, whole = self.keys_, [(i,) for i in self.ids]
+        shift, slots, buckets, n, digest = self.hash.shift, self.hash.slots, self.hash.buckets, self.hash.n, xxhash.xxh3_64_intdigest
+
+        def ids_of(pre_token: str) -> tuple[int, ...]:
+            piece = pre_token.encode("utf-8", "replace")
+            h = digest(piece)
+            d = shift[(h >> 40) % buckets]
+            at = slots[-1 - d if d < 0 else ((h & 0xFFFFF) + d * ((h >> 20) & 0xFFFFF | 1)) % PERIOD % n]
+            return whole[at] if keys[at] == piece else self[pre_token]
+
+        return ids_of
 
     def rank(self, piece: bytes) -> int | None:
         at = self.hash.index(piece)
@@ -149,7 +155,7 @@ class Encoder(dict):
 
     def encode(self, text: str | None) -> Iterator[int]:
         """Ids of one text; none for a null or empty one."""
-        return chain.from_iterable(map(self.__getitem__, self.pattern.findall(text))) if text else iter(())
+        return chain.from_iterable(map(self.lookup, self.pattern.findall(text))) if text else iter(())
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -214,7 +220,7 @@ def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", keep: t
     def run(batches):
         enc = encoder(vocabulary, parts)
         for batch in batches:
-            counts = [sum(map(len, map(enc.__getitem__, enc.pattern.findall(t)))) if (t := x.as_py()) else 0 for x in batch.column(batch.num_columns - 1)]
+            counts = [sum(map(len, map(enc.lookup, enc.pattern.findall(t)))) if (t := x.as_py()) else 0 for x in batch.column(batch.num_columns - 1)]
             arrays = [batch.column(i) for i in range(batch.num_columns - 1)] + [pa.array(counts, pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in kept] + ["n_tokens"])
 
