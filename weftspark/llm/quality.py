@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +58,14 @@ def _cells(line: str) -> tuple[str, int]:
     return "", 1
 
 
+@lru_cache(maxsize=1 << 16)
+def _token(token: str) -> tuple[str, int, int]:
+    """(the word, whether it is a common one, whether it can't be spoken) of what stands between spaces."""
+    x = token.strip(".,;:!?\"'()«»*_").lower()
+    mute = x.isascii() and (x.isalpha() or ";" in x) and not VOWELS.search(x[:4]) or HEX.fullmatch(x) is not None and not x.isalpha()
+    return x, int(x in COMMON), int(len(x) >= 4 and mute)
+
+
 def _line(line: str) -> str:
     """Kind of one line that is in no table: sentence, entry, loose (few common words) or noise."""
     body = BULLET.sub("", line) or line
@@ -77,7 +86,7 @@ def _line(line: str) -> str:
     open_ = body[-1] not in ".!?" or body.endswith("..")
     if open_ and (n <= 5 and len(body) <= 36 or n <= 8 and (marked or ":" in body or "...." in body)):
         return "entry"
-    common = sum(x.strip(".,;:!?\"'()«»").lower() in COMMON for x in tokens)
+    common = sum([_token(x)[1] for x in tokens])
     return "loose" if n >= 5 and common * 12 < n else "sentence"
 
 
@@ -94,9 +103,9 @@ def statistics(text: str) -> tuple[float, ...]:
     lines = [x for x in map(str.strip, plain.split("\n")) if x] or [text.strip()]
     tokens = plain.split()
     n = len(tokens) or 1
-    lower = [x.strip(".,;:!?\"'()«»*_").lower() for x in tokens]
+    known = [_token(x) for x in tokens]
     han = 0 if plain.isascii() else len(HAN.findall(plain))
-    common = (sum(x in COMMON for x in lower) + (sum(x in HAN_COMMON for x in plain) if han else 0)) / (n + 0.6 * han)
+    common = (sum([x[1] for x in known]) + (sum(x in HAN_COMMON for x in plain) if han else 0)) / (n + 0.6 * han)
     share = {"sentence": 0, "entry": 0, "cells": 0, "noise": 0, "loose": 0}
     cut = [_cells(x) for x in lines]
     k = broken = 0
@@ -122,11 +131,11 @@ def statistics(text: str) -> tuple[float, ...]:
     squeezed = len(zlib.compress(raw, 1)) / len(raw) if len(raw) > 60 else 1.0
     if squeezed < 0.13:
         share = {"sentence": 0, "entry": 0, "cells": 0, "noise": total}
-    unspoken = sum(len(x) >= 4 and (x.isascii() and (x.isalpha() or ";" in x) and not VOWELS.search(x[:4]) or HEX.fullmatch(x) is not None and not x.isalpha()) for x in lower) / n
+    unspoken = sum([x[2] for x in known]) / n
     return (
         float(len(text)), float(n), letters / n, common, (size - letters - digits) / size, digits / size, sum(x[-1] in ENDS for x in lines) / len(lines), (n + 0.6 * han) / len(lines),
         share["sentence"] / total, share["entry"] / total, share["cells"] / total, share["noise"] / total,
-        squeezed, 0.0 if han > 0.2 * size else float(max(map(len, tokens), default=0)), broken / size, unspoken, len(set(lower)) / n,
+        squeezed, 0.0 if han > 0.2 * size else float(max(map(len, tokens), default=0)), broken / size, unspoken, len({x[0] for x in known}) / n,
     )
 
 
