@@ -37,3 +37,22 @@ def test_query_counts_copies_each_and_deliveries_once(spark, tmp_path):
     write("preference_pairs", [(4, "train", ITEM), (4, "train", ITEM), (5, "test", ITEM)], "pair_id bigint, split string, prompt string")
     found = sorted(map(tuple, e.queries()["p1_found"](spark, str(tmp_path)).collect()))
     assert found == [("documents", 1, 7), ("documents", 2, 7), ("preference_pairs", 4, 7)]
+
+
+def test_passes_change_nothing_and_no_items(spark, monkeypatch):
+    from weftspark.llm import leaks
+
+    items = spark.createDataFrame([(i, ITEM.replace("rapid", f"rapid{i}")) for i in range(6)] + [(9, None), (10, "")], "item_id bigint, instruction string")
+    texts = spark.createDataFrame([("a", i, "so: " + ITEM.replace("rapid", f"rapid{i}")) for i in range(8)] + [("a", 99, None), ("b", 1, "")], "corpus string, record_id bigint, text string")
+    one = sorted(map(tuple, leaks.leaked_items(texts, items).collect()))
+    monkeypatch.setattr(leaks, "ITEMS", 2)
+    assert sorted(map(tuple, leaks.leaked_items(texts, items).collect())) == one and len(one) == 48
+    assert leaks.leaked_items(texts, items.limit(0)).collect() == [] and leaks.leaked_items(texts.limit(0), items).collect() == []
+
+
+def test_short_and_long_items():
+    short = Items([(1, "one two three"), (2, "  ")])
+    assert short.found("and one two three four") == [1] and short.found("three two one") == []
+    long_ = [f"word{i}" for i in range(240)]
+    assert Items([(3, " ".join(long_))]).found("x " + " ".join(long_[60:190]) + " y") == [3]
+    assert Items([(3, " ".join(long_))]).found(" ".join(long_[:110])) == []

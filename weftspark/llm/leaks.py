@@ -8,6 +8,8 @@ candidates; a banded alignment of their words decides them.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,20 +23,23 @@ Q = 12
 WORDS_AN_ERROR, PART = 8, 2
 #: Bits of the table that tells most q-grams of a text from those of the items at once.
 SIEVE_BITS = 22
+#: Items that are looked for in one pass over the texts, about.
+ITEMS = 20_000
 
 
 def least_hits(item: list[str]) -> int:
-    """Character q-grams that any stretch with half of the item has in common with it: the least over all stretches and errors."""
+    """Character q-grams that any stretch with half of the item has in common with it, at least.
+
+    Of a stretch of n words with e errors it has those that touch none of the e words; these are at most the longest.
+    """
     sizes = [len(w) + 1 for w in item]
-    half, least = -(-len(item) // PART), None
+    before, longest = [0, *accumulate(sizes)], [0, *accumulate(sorted(sizes, reverse=True))]
+    half, least = -(-len(item) // PART), []
     for n in range(half, min(len(item), half + WORDS_AN_ERROR) + 1):
-        errors = max(1, n // (WORDS_AN_ERROR - 1)) if n >= WORDS_AN_ERROR - 1 else 0
-        for at in range(len(item) + 1 - n):
-            own = sizes[at : at + n]
-            lost = sum(sorted(own, reverse=True)[:errors]) + errors * (Q - 1)
-            kept = sum(own) - Q - lost
-            least = kept if least is None else min(least, kept)
-    return max(1, least or 1)
+        errors = n // (WORDS_AN_ERROR - 1)
+        whole = min(before[at + n] - before[at] for at in range(len(item) + 1 - n))
+        least.append(whole - Q - longest[errors] - errors * (Q - 1))
+    return max(1, min(least, default=1))
 
 
 def grams(text: str) -> np.ndarray:
@@ -169,24 +174,35 @@ class Items:
         return any(aligned(item, w, low, high) for low, high in bands)
 
 
-def leaked_items(texts: DataFrame, items: DataFrame) -> DataFrame:
-    """One row (corpus, record_id, item_id) for each item in a text; texts has corpus, record_id and text.
-
-    The items are few and go to every worker whole; only found rows are shuffled, so that a record that comes
-    again counts once.
-    """
-    rows = [(r[0], r[1]) for r in items.select("item_id", "instruction").dropna().distinct().collect()]
+def _found_in(texts: DataFrame, rows: list[tuple[int, str]]) -> DataFrame:
+    known = texts.sparkSession.sparkContext.broadcast(Items(rows))
 
     def run(batches):
-        known = Items(rows)
         for batch in batches:
             at, found = [], []
             for k, t in enumerate(batch.column(2)):
-                for item_id in known.found(t.as_py()):
+                for item_id in known.value.found(t.as_py()):
                     at.append(k)
                     found.append(item_id)
             kept = batch.take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(found, pa.int64())], names=["corpus", "record_id", "item_id"])
 
+    return texts.mapInArrow(run, "corpus string, record_id bigint, item_id bigint")
+
+
+def leaked_items(texts: DataFrame, items: DataFrame) -> DataFrame:
+    """One row (corpus, record_id, item_id) for each item in a text; texts has corpus, record_id and text.
+
+    Items go to the workers with an index of their q-grams, ITEMS at a time; more are looked for in as many passes over
+    the texts. Null and empty texts hold none, and null and empty items are in none; only found rows are shuffled, so
+    that a record that comes again counts once.
+    """
+    every = items.select(F.col("item_id").cast("bigint"), F.col("instruction").cast("string")).dropna().distinct()
     columns = texts.select("corpus", F.col("record_id").cast("bigint"), F.col("text").cast("string"))
-    return columns.mapInArrow(run, "corpus string, record_id bigint, item_id bigint").distinct()
+    passes = max(1, -(-every.count() // ITEMS))
+    out: DataFrame | None = None
+    for n in range(passes):
+        own = every if passes == 1 else every.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == n)
+        found = _found_in(columns, [(r[0], r[1]) for r in own.collect()])
+        out = found if out is None else out.unionAll(found)
+    return out.distinct()
