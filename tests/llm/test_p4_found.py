@@ -68,3 +68,14 @@ def test_common_words_and_places():
 
     assert common_words("l a b c", "l a b d") == 2 and common_words("l a", "s a") == 0 and common_words("s a b", "s a b") == 2
     assert least_places(38, 6) == 38 - 4 - 25 and least_places(8, 4) == 1
+
+
+def test_odd_rows(spark):
+    from weftspark.llm.splits import cross_split_pairs
+
+    long_ = " ".join(f"word{i}" for i in range(3000))
+    rows = [(1, "train", None, None), (2, "test", None, None), (3, "train", "0000", "…"), (4, "test", "0000", "!"), (None, "train", "k", A), (5, "test", "k", A), (6, None, "k", A), (7, "dev", "k", A)]
+    rows += [(8, "train", "x", long_), (9, "test", "y", long_.replace("word7 ", "other ")), (10, "train", "", A + " and so on"), (11, "validation", "z", "")]
+    df = spark.createDataFrame([(*r, "h") for r in rows], "pair_id bigint, split string, prompt_id string, prompt string, held string")
+    assert sorted(map(tuple, cross_split_pairs(df).collect())) == [(9, 8)]
+    assert cross_split_pairs(df.limit(0)).collect() == []

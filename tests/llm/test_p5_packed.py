@@ -69,7 +69,7 @@ def test_planned_by_patterns_keeps_every_length_and_fills():
 def test_few_rows(spark):
     from weftspark.llm.packing import packed
 
-    t = spark.createDataFrame([(1, [1, 2, 3], 1), (1, [1, 2, 3], 2), (2, None, 1), (3, [], 1), (4, [7] * 5, 1)], "row_id bigint, input_ids array<int>, tokenized_at bigint")
+    t = spark.createDataFrame([(1, [1, 2, 3], 1), (1, [1, 2, 3], 2), (2, None, 1), (3, [], 1), (4, [7] * 5, 1), (None, [1], 1)], "row_id bigint, input_ids array<int>, tokenized_at bigint")
     c = spark.createDataFrame([("a", 4), ("b", 2)], "config_name string, max_seq_length int")
     rows = packed(t, c).collect()
     assert sum(len(r.input_ids) for r in rows) == 16

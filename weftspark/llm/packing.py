@@ -161,14 +161,14 @@ def places(patterns: list[tuple[Pattern, int]]) -> dict[int, tuple[list[int], li
 def packed(tokens: DataFrame, config: DataFrame) -> DataFrame:
     """(config_name, seq_no, seq_offset, row_id, row_offset, input_ids): the pieces of which each sequence consists.
 
-    A row_id counts once, the earliest; null and empty sequences have no piece; only those longer than the capacity
-    are cut, at multiples of it.
+    A row_id counts once, the earliest; rows without one can't be named and are left out; null and empty sequences have
+    no piece; only those longer than the capacity are cut, at multiples of it.
     """
     caps = {r[0]: r[1] for r in config.select("config_name", "max_seq_length").collect()}
     if not caps:
         return tokens.sparkSession.createDataFrame([], "config_name string, seq_no bigint, seq_offset int, row_id bigint, row_offset int, input_ids array<int>")
     first = Window.partitionBy("row_id").orderBy("tokenized_at")
-    once = lambda *columns: tokens.select("row_id", "tokenized_at", *columns).withColumn("k", F.row_number().over(first)).where("k = 1").drop("k", "tokenized_at")
+    once = lambda *columns: tokens.where("row_id is not null").select("row_id", "tokenized_at", *columns).withColumn("k", F.row_number().over(first)).where("k = 1").drop("k", "tokenized_at")
     sizes = once(F.coalesce(F.size("input_ids"), F.lit(0)).alias("n")).where("n > 0")
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("config_name"), F.lit(c).alias("capacity")) for k, c in sorted(caps.items()))))
     pieces = sizes.select("row_id", "n", each.alias("c")).select("row_id", "n", "c.*").withColumn("row_offset", F.explode(F.expr("sequence(0, n - 1, capacity)")))
@@ -181,13 +181,14 @@ def packed(tokens: DataFrame, config: DataFrame) -> DataFrame:
                 own[c] = own.get(c, 0) + r.n // c * r.rows
             if r.n % c:
                 own[r.n % c] = own.get(r.n % c, 0) + r.rows
-    table = {name: places(planned(lengths[name], c)) for name, c in caps.items()}
+    found = {name: places(planned(lengths[name], c)) for name, c in caps.items()}
+    table = tokens.sparkSession.sparkContext.broadcast(found)  # as large as the patterns, which lengths up to the capacities bound
 
     def run(batches):
         for batch in batches:
             numbers, offsets = [], []
             for name, size, rank in zip(*(batch.column(c).to_pylist() for c in ("config_name", "size", "rank"))):
-                starts, runs = table[name][size]
+                starts, runs = table.value[name][size]
                 at = bisect_right(starts, rank) - 1
                 number, copies, offset = runs[at]
                 numbers.append(number + (rank - starts[at]) // copies)

@@ -181,8 +181,12 @@ def _near(batches):
 
 
 def cross_split_pairs(pairs: DataFrame) -> DataFrame:
-    """(held_id, train_id) of every validation or test row and train row with one record. A pair_id counts once."""
-    rows = pairs.where("split in ('train', 'validation', 'test')").select("pair_id", (F.col("split") != "train").alias("held"), "prompt_id", "prompt").dropDuplicates(["pair_id"])
+    """(held_id, train_id) of every validation or test row and train row with one record.
+
+    A pair_id counts once; rows with a null pair_id or another split aren't looked at. Prompts without a word are like
+    no other; a null or placeholder prompt_id is equal to none.
+    """
+    rows = pairs.where("pair_id is not null and split in ('train', 'validation', 'test')").select("pair_id", (F.col("split") != "train").alias("held"), "prompt_id", "prompt").dropDuplicates(["pair_id"])
     texts = rows.where("prompt is not null").select("pair_id", "held", "prompt").mapInArrow(_prompts, "pair_id bigint, held boolean, gid binary, words string").where("gid is not null")
     prompts = checkpointed(texts.groupBy("gid").agg(F.first("words").alias("words"), F.max("held").alias("in_held"), F.max(~F.col("held")).alias("in_train")))
 
