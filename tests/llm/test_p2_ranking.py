@@ -64,3 +64,13 @@ def test_no_battles(spark):
     assert ranking(spark.createDataFrame([], schema)).collect() == []
     alone = ranking(spark.createDataFrame([(1, "x", None, None, 1.0)], schema)).collect()
     assert [(x.place, x.model, x.strength, x.n_verdicts) for x in alone] == [(1, "x", 1.0, 0)]
+
+
+def test_ties_go_by_name_and_nulls_say_nothing(spark):
+    from weftspark.llm.ranking import ranking
+
+    rows = [(1, "b", "a", "tie", 1.0, 9), (2, "a", "b", "tie", 1.0, 9), (3, None, "c", "model_a", 1.0, 9), (4, "c", None, None, None, 9), (None, "a", "b", "model_a", 1.0, 9)]
+    found = [tuple(r)[:2] for r in ranking(spark.createDataFrame(rows, "battle_id bigint, model_a string, model_b string, winner string, tstamp double, n int")).collect()]
+    assert found == [(1, "a"), (2, "c"), (3, "b")]
+    even = [tuple(r)[:2] for r in ranking(spark.createDataFrame(rows[:2], "battle_id bigint, model_a string, model_b string, winner string, tstamp double, n int")).collect()]
+    assert even == [(1, "a"), (2, "b")]
