@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("mtbench", "arena", "mixes", "chats", "packs", "preferences", "losses", "rollups")
+MODULES = ("mtbench", "arena", "mixes", "chats", "packs", "preferences", "losses", "rollups", "pipelines")
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
