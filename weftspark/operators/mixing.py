@@ -56,15 +56,15 @@ def source_order(sources: list[str]) -> Column:
     return F.coalesce(F.try_element_at(table, F.col("source")), F.lit(len(sources))) if sources else F.lit(0)
 
 
-def deduplicated(rows: DataFrame, key: Column | str, sources: list[str] | None = None) -> DataFrame:
-    """Of rows with the same key the first by source and pos; rows with a null key are one key.
+def deduplicated(rows: DataFrame, key: Column | str, sources: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
+    """Of rows with the same key the first by source and pos, with all columns or those of keep; rows with a null key are one key.
 
     The key is grouped by its sha256 and first rows are chosen with partial aggregation, so that copies of one text,
     however many, are met by one row of each task only.
     """
     key = F.col(key) if isinstance(key, str) else key
     first = F.struct(source_order(sources or []), "source", "pos")
-    whole = F.struct(*rows.columns)
+    whole = F.struct(*(keep or rows.columns))
     return rows.groupBy(F.sha2(key.cast("binary"), 256).alias("__key")).agg(F.min_by(whole, first).alias("r")).select("r.*")
 
 

@@ -43,7 +43,7 @@ def _text(messages, template, end="''"):
 def _sft(template):
     @query(f"chat_sft_{template}", f"SELECT pair_id, {_text('messages', template)} AS text FROM {{dialogues}}")
     def run(spark, folder):
-        return chat.formatted(views.dialogues(spark, folder), "sft", template).select("pair_id", "text")
+        return chat.formatted(views.dialogues(spark, folder, "messages"), "sft", template).select("pair_id", "text")
 
 
 for _template in _ONE:
@@ -55,23 +55,23 @@ _ASKED_VICUNA = f"CASE WHEN ({_loop('chosen[1:2]', 'vicuna')})[-1].role = 'user'
 
 @query("chat_generation", f"SELECT pair_id, {_text('messages', 'chatml', _ASKED)} AS text FROM {{dialogues}}")
 def chat_generation(spark, folder):
-    return chat.formatted(views.dialogues(spark, folder), "generation", "chatml").select("pair_id", "text")
+    return chat.formatted(views.dialogues(spark, folder, "messages"), "generation", "chatml").select("pair_id", "text")
 
 
 @query("chat_generation_vicuna", f"SELECT pair_id, {_text('chosen[1:2]', 'vicuna', _ASKED_VICUNA)} AS text FROM {{dialogues}}")
 def chat_generation_vicuna(spark, folder):
-    rows = views.dialogues(spark, folder).withColumn("messages", F.slice("chosen", 1, 2))
+    rows = views.dialogues(spark, folder, "chosen").withColumn("messages", F.slice("chosen", 1, 2))
     return chat.formatted(rows, "generation", "vicuna").select("pair_id", "text")
 
 
 @query("chat_rm", f"SELECT pair_id, {_text('chosen', 'ultralm')} AS text_chosen, {_text('rejected', 'ultralm')} AS text_rejected FROM {{dialogues}}")
 def chat_rm(spark, folder):
-    return chat.formatted(views.dialogues(spark, folder), "rm", "ultralm").select("pair_id", "text_chosen", "text_rejected")
+    return chat.formatted(views.dialogues(spark, folder, "chosen", "rejected"), "rm", "ultralm").select("pair_id", "text_chosen", "text_rejected")
 
 
 @query("chat_dpo", f"SELECT pair_id, {_text('chosen[1:len(chosen) - 1]', 'default')} AS text_prompt, {_text('chosen[len(chosen):len(chosen)]', 'default')} AS text_chosen, {_text('rejected[len(rejected):len(rejected)]', 'default')} AS text_rejected FROM {{dialogues}}")
 def chat_dpo(spark, folder):
-    return chat.formatted(views.dialogues(spark, folder), "dpo", "default").select("pair_id", "text_prompt", "text_chosen", "text_rejected")
+    return chat.formatted(views.dialogues(spark, folder, "chosen", "rejected"), "dpo", "default").select("pair_id", "text_prompt", "text_chosen", "text_rejected")
 
 
 _INSERTED = "CASE WHEN len(messages) > 0 AND coalesce(messages[1].role, '') <> 'system' AND CAST(concat('0x', substr(md5(concat('42:', pair_id)), 1, 8)) AS BIGINT) / CAST(4294967296 AS DOUBLE) < CAST(0.8 AS DOUBLE) THEN list_concat([{'role': 'system', 'content': ''}], messages) ELSE messages END"
@@ -79,14 +79,14 @@ _INSERTED = "CASE WHEN len(messages) > 0 AND coalesce(messages[1].role, '') <> '
 
 @query("chat_system_insert", f"SELECT pair_id, {_text('messages', 'chatml')} AS text FROM (SELECT pair_id, {_INSERTED} AS messages FROM {{dialogues}})")
 def chat_system_insert(spark, folder):
-    return chat.formatted(views.dialogues(spark, folder), "sft", "chatml", key="pair_id").select("pair_id", "text")
+    return chat.formatted(views.dialogues(spark, folder, "messages"), "sft", "chatml", key="pair_id").select("pair_id", "text")
 
 
 @query("chat_rank_text", f"SELECT pair_id, regexp_replace(array_to_string(list_transform(chosen, lambda m: concat(coalesce(m.role, ''), ': ', {_C})), chr(10)), '{chat.STRIP}', '', 'g') AS text FROM {{dialogues}}")
 def chat_rank_text(spark, folder):
-    return views.dialogues(spark, folder).select("pair_id", chat.rank_text(F.col("chosen")).alias("text"))
+    return views.dialogues(spark, folder, "chosen").select("pair_id", chat.rank_text(F.col("chosen")).alias("text"))
 
 
 @query("chat_dpo_columns", f"SELECT pair_id, {_text('chosen[1:len(chosen) - 1]', 'chatml')} AS prompt, {_text('chosen[len(chosen):len(chosen)]', 'chatml')} AS chosen, {_text('rejected[len(rejected):len(rejected)]', 'chatml')} AS rejected FROM {{dialogues}}")
 def chat_dpo_columns(spark, folder):
-    return chat.renamed(chat.formatted(views.dialogues(spark, folder), "dpo", "chatml")).select("pair_id", "prompt", "chosen", "rejected")
+    return chat.renamed(chat.formatted(views.dialogues(spark, folder, "chosen", "rejected"), "dpo", "chatml")).select("pair_id", "prompt", "chosen", "rejected")

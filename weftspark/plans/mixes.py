@@ -23,7 +23,7 @@ _RANK = "CASE source " + " ".join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(S
 
 @query("mix_dedup", f"SELECT source, pos FROM ({_dedup_sql('', _RANK)})")
 def mix_dedup(spark, folder):
-    return mixing.deduplicated(views.mix_rows(spark, folder), "text", SOURCES).select("source", "pos")
+    return mixing.deduplicated(views.mix_rows(spark, folder), "text", SOURCES, keep=["source", "pos"])
 
 
 @query("mix_duplicate_ratio", "SELECT count(*) AS rows, count(DISTINCT coalesce('x' || text, '')) AS kept, round(1 - count(DISTINCT coalesce('x' || text, '')) / count(*), 6) AS ratio FROM {mix_rows}")
@@ -46,7 +46,7 @@ def _mixed_sql(rows, fractions, least=0.0):
 
 @query("mix_fractional", _mixed_sql(_dedup_sql("", _RANK), FRACTIONS))
 def mix_fractional(spark, folder):
-    rows = mixing.deduplicated(views.mix_rows(spark, folder), "text", SOURCES)
+    rows = mixing.deduplicated(views.mix_rows(spark, folder), "text", SOURCES, keep=["source", "pos"])
     return mixing.mixed(rows, FRACTIONS).select("source", "pos", "copy")
 
 
@@ -86,7 +86,7 @@ def mix_epochs(spark, folder):
 
 @query("mix_union", "SELECT source, pos, NULL::VARCHAR AS split FROM {mix_rows} UNION ALL SELECT coalesce(source, ''), pair_id, split FROM {dialogues}")
 def mix_union(spark, folder):
-    pairs = views.dialogues(spark, folder).select(F.coalesce("source", F.lit("")).alias("source"), F.col("pair_id").alias("pos"), "split")
+    pairs = views.dialogues(spark, folder, "source", "split").select(F.coalesce("source", F.lit("")).alias("source"), F.col("pair_id").alias("pos"), "split")
     return mixing.union([views.mix_rows(spark, folder).select("source", "pos"), pairs])
 
 
@@ -96,4 +96,4 @@ def _canonical(c):
 
 @query("mix_full_id", f"SELECT pair_id, sha256(concat_ws(' ', {_canonical('chosen')}, {_canonical('rejected')})) AS full_id FROM {{dialogues}}")
 def mix_full_id(spark, folder):
-    return views.dialogues(spark, folder).select("pair_id", mixing.full_id().alias("full_id"))
+    return views.dialogues(spark, folder, "chosen", "rejected").select("pair_id", mixing.full_id().alias("full_id"))

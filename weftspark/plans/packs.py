@@ -71,7 +71,7 @@ _KEPT = (
 
 
 def _labelled(spark, folder):
-    chats = views.dialogues(spark, folder).select("pair_id", tokens.chat_tokens(F.col("messages")).alias("input_ids"))
+    chats = views.dialogues(spark, folder, "messages").select("pair_id", tokens.chat_tokens(F.col("messages")).alias("input_ids"))
     return tokens.masked_labels(chats, ["<|assistant|>"], ["<|end|>"], ignored="-100")
 
 
@@ -91,7 +91,7 @@ MAX, PROMPT = 128, 48
 
 def _dpo(spark, folder, keep="keep_end"):
     words = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), r"[ \t\n\r\f]+"), lambda w: w != "")
-    rows = views.dialogues(spark, folder)
+    rows = views.dialogues(spark, folder, "prompt", "chosen", "rejected")
     answer = lambda s: words(F.expr(f"try_element_at({s}, -1).content"))
     rows = rows.select("pair_id", words(F.col("prompt")).alias("prompt_ids"), answer("chosen").alias("c"), answer("rejected").alias("r"))
     rows = rows.select("pair_id", "prompt_ids", F.concat("prompt_ids", "c").alias("chosen_full"), F.concat("prompt_ids", "r").alias("rejected_full"))

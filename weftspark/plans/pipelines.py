@@ -16,7 +16,7 @@ LENGTH = 256
 
 def mixed_dialogues(spark, folder) -> DataFrame:
     """Dialogues of every source, once each and in the fractions of the mix, with ``copy``."""
-    rows = views.dialogues(spark, folder).where("source is not null").select("source", F.col("pair_id").alias("pos"), "messages", mixing.canonical("messages").alias("key"))
+    rows = views.dialogues(spark, folder, "source", "messages").where("source is not null").select("source", F.col("pair_id").alias("pos"), "messages", mixing.canonical("messages").alias("key"))
     names = sorted(r.source for r in rows.select("source").distinct().collect())  # sources of a mix are few
     fractions = {s: FRACTIONS[i % len(FRACTIONS)] for i, s in enumerate(names)}
     return mixing.mixed(mixing.deduplicated(rows, "key", names), fractions)
@@ -33,7 +33,7 @@ def pipeline_sft(spark, folder):
 @query("pipeline_dpo")
 def pipeline_dpo(spark, folder):
     """(pair_id, chosen_n, rejected_n, masked): pairs once by their id of both dialogues, as text, tokenised, cut and padded in batches of 16."""
-    rows = views.dialogues(spark, folder).where("size(chosen) > 0 and size(rejected) > 0").withColumns({"source": F.lit("all"), "pos": F.col("pair_id"), "key": mixing.full_id()})
+    rows = views.dialogues(spark, folder, "chosen", "rejected").where("size(chosen) > 0 and size(rejected) > 0").withColumns({"source": F.lit("all"), "pos": F.col("pair_id"), "key": mixing.full_id()})
     texts = chat.renamed(chat.formatted(mixing.deduplicated(rows, "key"), "dpo", "chatml", key="pair_id"))
     words = lambda c: F.filter(F.split(c, r"[ \t\n\r\f]+"), lambda w: w != "")
     ids = texts.select("pair_id", words(F.col("prompt")).alias("prompt_ids"), *(words(F.concat("prompt", s)).alias(f"{s}_full") for s in ("chosen", "rejected")))
@@ -50,5 +50,5 @@ def pipeline_online(spark, folder):
     ranks = F.transform("gen_answers", lambda a: 1 + F.size(F.filter("gen_answers", lambda b: F.length(b) > F.length(a))))
     picked = rows.select("gen_id", "prompt_id", preferences.best_worst(F.col("gen_answers"), ranks).alias("p")).select("gen_id", "prompt_id", F.col("p.best").alias("chosen"), F.col("p.worst").alias("rejected"))
     last = lambda c: F.expr(f"try_element_at({c}, -1).content").alias(c)
-    original = views.dialogues(spark, folder).select("prompt_id", last("chosen"), last("rejected"))
+    original = views.dialogues(spark, folder, "prompt_id", "chosen", "rejected").select("prompt_id", last("chosen"), last("rejected"))
     return preferences.mixed_original(picked, original, 0.3, 0.1).select("gen_id", "use", "chosen", "rejected")

@@ -35,7 +35,7 @@ def pref_best_worst(spark, folder):
 
 @query("pref_drop_ambiguous", "SELECT prompt_id, min(pair_id) AS pair_id FROM {dialogues} WHERE prompt_id IS NOT NULL GROUP BY prompt_id HAVING count(*) = 1")
 def pref_drop_ambiguous(spark, folder):
-    return preferences.unambiguous(views.dialogues(spark, folder).where("prompt_id is not null").select("prompt_id", "pair_id"))
+    return preferences.unambiguous(views.dialogues(spark, folder, "prompt_id").where("prompt_id is not null").select("prompt_id", "pair_id"))
 
 
 @query(
@@ -50,12 +50,12 @@ def pref_mix_original(spark, folder):
     picked = _ranked(spark, folder).select("gen_id", "prompt_id", preferences.best_worst(F.col("gen_answers"), F.col("ranks")).alias("p"))
     generated = picked.select("gen_id", "prompt_id", F.concat(F.lit("best "), "p.best").alias("chosen"), F.concat(F.lit("worst "), "p.worst").alias("rejected"))
     last = lambda c: F.coalesce(F.expr(f"try_element_at({c}, -1).content"), F.lit("")).alias(c)
-    original = views.dialogues(spark, folder).select("prompt_id", last("chosen"), last("rejected"))
+    original = views.dialogues(spark, folder, "prompt_id", "chosen", "rejected").select("prompt_id", last("chosen"), last("rejected"))
     return preferences.mixed_original(generated, original, 0.3, 0.1).select("gen_id", "chosen", "rejected", "use")
 
 
 @query("pref_augmented_counts", "WITH c AS (SELECT count(*) AS n FROM (SELECT DISTINCT prompt_id FROM {candidates} WHERE prompt_id IN (SELECT prompt_id FROM {dialogues})))"
        " SELECT 'pair' AS use, CAST(floor(floor(n * CAST(0.75 AS DOUBLE)) * CAST(0.5 AS DOUBLE)) AS BIGINT) AS n FROM c UNION ALL SELECT 'chosen', CAST(floor(n * CAST(0.75 AS DOUBLE)) - floor(floor(n * CAST(0.75 AS DOUBLE)) * CAST(0.5 AS DOUBLE)) AS BIGINT) FROM c")
 def pref_augmented_counts(spark, folder):
-    ids = preferences.augmented_ids(views.candidates(spark, folder), views.dialogues(spark, folder), 0.5, 0.25)
+    ids = preferences.augmented_ids(views.candidates(spark, folder), views.dialogues(spark, folder, "prompt_id"), 0.5, 0.25)
     return ids.groupBy("use").agg(F.count("*").alias("n"))

@@ -76,10 +76,10 @@ def mix_rows(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").where("source is not null").select("source", F.col("doc_id").alias("pos"), "text")
 
 
-def dialogues(spark: SparkSession, folder: str) -> DataFrame:
-    """(pair_id, source, messages, chosen, rejected, prompt_id, scores) of preference_pairs, a pair_id once: the delivery that came first."""
+def dialogues(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """(pair_id, columns...) of preference_pairs, a pair_id once: the delivery that came first. Only the named columns are read, or else all of these."""
     pairs = table(spark, folder, "preference_pairs").withColumnRenamed("dataset_mix_source", "source")
-    keep = ["source", "split", "prompt_id", "prompt", "messages", "chosen", "rejected", "score_chosen", "score_rejected"]
+    keep = columns or ("source", "split", "prompt_id", "prompt", "messages", "chosen", "rejected", "score_chosen", "score_rejected")
     return pairs.groupBy("pair_id").agg(F.min_by(F.struct(*keep), "ingested_at").alias("r")).select("pair_id", "r.*")
 
 
