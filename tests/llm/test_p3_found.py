@@ -108,3 +108,67 @@ def test_empty_tables_odd_rows_and_clashing_columns(spark):
     outputs = spark.createDataFrame([(*r, "clash", "clash") for r in odd], "output_id bigint, instruction string, output string, question string, answers string")
     found = [(r.answer_field, r.record_id, r.answer_no, r.defect) for r in defective_answers(pairs, outputs, generated, documents).collect()]
     assert sorted(found, key=str) == sorted([("output", None, 0, "empty"), ("output", 4, 0, "empty"), ("output", 5, 0, "empty"), ("output", 6, 0, "copy")], key=str)
+
+
+def test_evidence_counts_wherever_it_lies_in_the_table(spark):
+    from pyspark.sql import functions as F
+    from weftspark.llm.defects import defective_answers
+
+    sound = F.format_string("The lamp of %d was lit with a match, and the storm put it out again.", "id")
+    named = F.format_string("The lamp of %d was lit with a match, and the storm put it out again, as it was told by Brenwick Ashdown", "id")
+    dialogue = F.array(F.struct(F.lit("user").alias("role"), F.lit(QUESTION).alias("content")), F.struct(F.lit("assistant").alias("role"), F.when(F.col("id") % 2000 == 7, named).otherwise(sound).alias("content")))
+    pairs = spark.range(12_000).select(F.col("id").alias("pair_id"), dialogue.alias("chosen"), dialogue.alias("rejected"))
+    outputs = spark.createDataFrame([(1, QUESTION, "The lamp was lit with a match, as it was to")], "output_id bigint, instruction string, output string")
+    generated = spark.createDataFrame([], f"gen_id bigint, prompt_messages {pairs.schema['chosen'].dataType.simpleString()}, gen_answers array<string>")
+    documents = spark.createDataFrame([], "doc_id bigint, text string, lang string")
+    assert [tuple(r) for r in defective_answers(pairs, outputs, generated, documents).collect()] == [("output", 1, 0, "truncated")]
+
+
+def test_fits_of_whole_tables_equal_fits_of_all_rows_at_hand(spark):
+    from pyspark.sql import functions as F
+    from weftspark.llm import defects as d
+
+    documents = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id % 2 = 0")
+    rows = documents.select("text", "lang").collect()
+    assert len(rows) > 3000
+    model, expected = d.languages_of(documents.repartition(5)), fit_languages([(r.text, r.lang) for r in rows])
+    assert model.names == expected.names and np.array_equal(model.table, expected.table)
+
+    answers = spark.read.parquet("/root/testdata/sf0.1/preference_pairs.parquet").selectExpr("chosen[size(chosen) - 1].content as answer").where("trim(answer) != ''").distinct()
+    own, texts = [r.answer for r in answers.collect()], [r.text for r in rows if r.text is not None]
+    assert len(own) > 3000
+    seen = d.seen_in(documents.where("text is not null").select("text", F.lit(False).alias("answer")).unionAll(answers.select("answer", F.lit(True))).repartition(7))
+    slots = {int(r.key): r.n for r in seen.where("kind = 'slot'").collect()}
+    long = np.array([slots.get(i, 0) for i in range(d.SLOTS)])
+    assert np.array_equal(d.refusals_of(answers, long).table, fit_refusals(own, texts).table)
+    endings = Endings.fitted(own, texts)
+    ends = {e for a in own for e in d.ends_and_cuts(a)[0]}
+    assert {r.end for r in d.cut_endings(seen).collect()} == {d._written(e) for e in ends if endings.whole(e) < d.LEAST_WHOLE}
+
+
+def test_endings_of_entries_are_those_of_the_text_up_to_them():
+    from weftspark.llm.defects import BULLET, ending, ends_and_cuts
+
+    rng = random.Random(11)
+    for _ in range(300):
+        text = "".join(rng.choice(("lamp ", "1,204", "the storm", "\n", "\n- ", "\n2. ", "```", ". ", "!", "  \n")) for _ in range(rng.randrange(1, 30)))
+        lines = text.split("\n")
+        marks = [(k, m[0]) for k in range(1, len(lines) - 1) if (m := BULLET.match(lines[k]))]
+        ends, cuts = ends_and_cuts(text)
+        assert ends == [ending(text), *(ending("\n".join(lines[: k + 1])) for k, _ in marks)]
+        assert cuts[3 * (len(text) > 12) :] == [ending("\n".join([*lines[:k], mark])) for k, mark in marks]
+
+
+def test_slots_of_many_texts_are_those_of_each():
+    from weftspark.llm.defects import _hashed
+
+    rng = random.Random(12)
+    for n in (3, 4):
+        texts = ["".join(rng.choice("ab é好😀") for _ in range(rng.choice((0, 1, 2, 3, 40)))) for _ in range(200)]
+        slots, lengths = _hashed(texts, n)
+        assert lengths.tolist() == [max(0, len(t) + 3 - n) for t in texts]
+        assert slots.tolist() == [i for t in texts for i in _hashed([t], n)[0].tolist()]
+
+
+def test_width_and_form_of_signs_are_no_language():
+    assert speech("Ｗｈｙ ｗａｓ ｉｔ ｌｉｔ？") == "why was it lit?" and speech("für") == speech("fu\u0308r") == "für"
